@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm, near_dup, packing, quality, sharding, topk, toxicity
+from . import chat, decontaminate, lm, near_dup, packing, quality, secrets, sharding, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.external_shuffle(sharding.digest(table(spark, sf_dir, "documents")))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_secrets": op4_secrets,
     "op5_sharding": op5_sharding,
     "op6_chat_format": op6_chat_format,
     "op7_decontamination": op7_decontamination,
