@@ -11,32 +11,36 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class State:
-    """`write` aggregates rows into the stored column `name`; `merge` aggregates stored columns."""
+    """`write()` aggregates rows into the stored column `name`; `merge(name)` aggregates stored columns.
+
+    Both are called with a session at hand; states themselves can be declared without one.
+    """
 
     name: str
-    write: Column
+    write: Callable[[], Column]
     merge: Callable[[str], Column]
 
 
 def count_state(name: str = "calls_state") -> State:
-    return State(name, F.count(F.lit(1)), lambda c: F.sum(c))
+    return State(name, lambda: F.count(F.lit(1)), F.sum)
 
 
-def sum_state(name: str, x: str | Column) -> State:
-    return State(name, F.sum(x), lambda c: F.sum(c))
+def sum_state(name: str, x: str) -> State:
+    """x, here and below: a SQL expression over the event's columns."""
+    return State(name, lambda: F.sum(F.expr(x)), F.sum)
 
 
-def min_state(name: str, x: str | Column) -> State:
-    return State(name, F.min(x), lambda c: F.min(c))
+def min_state(name: str, x: str) -> State:
+    return State(name, lambda: F.min(F.expr(x)), F.min)
 
 
-def max_state(name: str, x: str | Column) -> State:
-    return State(name, F.max(x), lambda c: F.max(c))
+def max_state(name: str, x: str) -> State:
+    return State(name, lambda: F.max(F.expr(x)), F.max)
 
 
-def quantile_state(name: str, x: str | Column, k: int = 4096) -> State:
-    """A KLL sketch of a whole-number column; rank errors shrink as k grows (about 0.06 % at 4096)."""
-    return State(name, F.kll_sketch_agg_bigint(x, F.lit(k)), lambda c: F.kll_merge_agg_bigint(c, F.lit(k)))
+def quantile_state(name: str, x: str, k: int = 4096) -> State:
+    """A KLL sketch of a whole-number expression; rank errors shrink as k grows (about 0.06 % at 4096)."""
+    return State(name, lambda: F.kll_sketch_agg_bigint(F.expr(x), F.lit(k)), lambda c: F.kll_merge_agg_bigint(c, F.lit(k)))
 
 
 def quantiles(sketch: str | Column, *q: float) -> Column:

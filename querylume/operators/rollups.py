@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from querylume.functions.buckets import bucket, lookback
 from querylume.functions.states import State, count_state, max_state, min_state, quantile_state, sum_state
@@ -28,7 +27,7 @@ class Rollup:
 
     def build(self, events: DataFrame) -> DataFrame:
         rows = events.withColumn("bucket", bucket("ts", self.width))
-        return rows.groupBy("bucket", *self.keys).agg(*[s.write.alias(s.name) for s in self.states])
+        return rows.groupBy("bucket", *self.keys).agg(*[s.write().alias(s.name) for s in self.states])
 
     def merge(self, stored: DataFrame, by: tuple[str, ...] | list[str] = (), states: tuple[str, ...] | None = None, *extra: Column) -> DataFrame:
         """Stored states merged by `by`; only the named states are read."""
@@ -59,7 +58,7 @@ def app_user_stats(k: int = 4096) -> Rollup:
         count_state(),
         sum_state("duration_sum_state", "duration_us"),
         quantile_state("duration_q_state", "duration_us", k),
-        sum_state("errors_sum_state", (F.col("err_elevel") > 0).cast("long")),
+        sum_state("errors_sum_state", "CAST(err_elevel > 0 AS BIGINT)"),
     )
     return Rollup("db_app_user_1m", ("instance_ubid", "db_name", "app", "db_user", "db_operation"), "1 minute", states)
 
