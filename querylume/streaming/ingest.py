@@ -95,7 +95,7 @@ class TableSink:
         old = [c for c in tables.children(spark, folder) if c.startswith("batch_id=") and int(c.partition("=")[2]) <= upto]
         if len(old) < 2:
             return
-        rows = spark.read.parquet(*[f"{folder}/{c}" for c in old])
+        rows = tables.read_states(spark, folder).where(F.col("batch_id") <= upto).drop("batch_id", "bucket_date")
         tables.append_states(self.rollups[name].compact(rows), f"{folder}-compacted-{upto}", mode="overwrite")
         for c in old:
             tables.delete(spark, f"{folder}/{c}")
