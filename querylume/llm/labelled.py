@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_held_out
 
 
+def hashed_share(key: Column, rows: int, total: int, seed: int) -> Column:
+    """True for about `rows` of `total` keys, chosen by a hash; for all of them if there are no more."""
+    if total <= rows:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * rows / total)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int) -> tuple[DataFrame, float]:
-    """Up to `rows` labelled training rows as (text, y), half of each label where there are enough, and the
-    share of label 1 among all training labels.
+    """About `rows` labelled training rows as (doc_id, text, y), half of each label where there are enough, and
+    the share of label 1 among all training labels.
 
     Training rows are those with crc32(doc_id as text) mod 5 other than 0.  A label counts if it is 0 or 1;
-    an id with both, or none, is left out.  Which rows are taken depends on a hash of the id alone.
-    The sample's ids, at most `rows`, are broadcast to the documents; the texts are not shuffled.
+    an id with both, or none, is left out.  A row is taken if a hash of
+    its id is under a share of the hash's range, so nothing is sorted, and no more than a few deviations of
+    sqrt(rows) over `rows` are ever taken.  The sample's ids are broadcast to the documents; the texts are not shuffled.
     """
     known = labels.where(labels[label].isin(0, 1) & labels["doc_id"].isNotNull() & ~is_held_out(labels["doc_id"], 5, 0))
     one = known.groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("top")).where("y = top").drop("top")
-    share = one.agg(F.avg("y").alias("share")).first()["share"]
-    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    picked = [one.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows // 2) for y in (0, 1)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]))
+    counts = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    drawn = [(F.col("y") == y) & hashed_share(F.col("doc_id"), rows // 2, counts.get(y, 0), seed) for y in (0, 1)]
+    ids = F.broadcast(one.where(drawn[0] | drawn[1]))
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return named.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y"), share if share is not None else 0.5
+    return named.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y"), share
 
 
 def split_of(ids: np.ndarray, parts: int = 4) -> np.ndarray:

@@ -124,7 +124,7 @@ def fitted(rows: list[np.ndarray], y: np.ndarray, cost: float, epochs: int, seed
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 8000, cost: float = 1.0, epochs: int = 20, folds: int = 3, seed: int = 7) -> Model:
-    """The model from a bounded sample: at most `rows` labelled rows reach the driver, as hashed features.
+    """The model from a bounded sample: about `rows` labelled rows reach the driver, as hashed features.
 
     Without labels of both kinds every text scores the share of label 1 (0.5 without any label).
     """
