@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,20 @@ def discard(df: DataFrame | None) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Shared:
+    """A broadcast value whose classes travel with it, as the functions that read it do."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> Any:
+        """Unpacked once in each task."""
+        if "unpacked" not in self.__dict__:
+            self.unpacked = pickle.loads(self.packed.value)
+        return self.unpacked
+
+
 def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32(doc_id as text) mod modulus = remainder; rows without an id are never held out."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, bounded_arrow_batches, raw_bytes, written
+from .common import WORDS, Shared, bounded_arrow_batches, raw_bytes, written
 
 WORD_BYTES = re.compile(rb"[0-9a-zA-Z\x80-\xff]+")
 FOUND = "n_words long, hits array<struct<first:int,last:int>>, items array<string>, longest int"
@@ -231,7 +231,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes:
     for b in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         automaton = ItemAutomaton(sorted((r["item"], words_of(r["text"].encode())) for r in rows), window)
-        docs = docs.mapInArrow(scan(spark.sparkContext.broadcast(automaton), b > 0), shape)
+        docs = docs.mapInArrow(scan(Shared(spark, automaton), b > 0), shape)
         if b + 1 < blocks:
             docs = written(docs, "hits")
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow_batches, is_held_out, strings
+from .common import Shared, bounded_arrow_batches, is_held_out, strings
 from .labelled import calibration, logistic, training_sample
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     A null or empty text has no features and scores what the bias says.  Only text is read besides doc_id.
     """
     bounded_arrow_batches(docs.sparkSession)
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """`docs` without the rows that score under the threshold; what is kept is unchanged."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
+    model = Shared(docs.sparkSession, fit(docs, labels, **options))
     bounded_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
