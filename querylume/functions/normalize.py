@@ -22,7 +22,7 @@ MARK = "\u0001"
 
 def normalize(text: Column, squash: bool = False) -> Column:
     """`text` with each literal as $N; `squash` writes a list of constants in IN as its first and a comment."""
-    pieces = F.regexp_extract_all(text, F.lit(f"{KEPT}|{STRING.replace(chr(92) + '1', chr(92) + '1')}|{NUMBER}|(?s:.)"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(f"{KEPT}|{STRING}|{NUMBER}|(?s:.)"), F.lit(0))
     marked = F.transform(pieces, lambda p: F.when(p.rlike(r"(?s)^((?i:[ebxn]|u&)?'.*'|\$[a-zA-Z_]*\$.*\$|-?\s?\.?\d.*)$") & ~p.rlike(r"^\$\d+$"), F.lit(MARK)).otherwise(p))
     parts = F.split(F.array_join(marked, ""), MARK, -1)
     highest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\$(\d+)"), F.lit(1)), lambda d: d.try_cast("int"))), F.lit(0))
