@@ -145,6 +145,18 @@ def test_one_of_each_class_stays(spark):
     assert near_dup.keep_one(twice).count() == 1
 
 
+def test_similar_pairs_in_mixed_buckets_are_found(spark, monkeypatch):
+    """300 pairs share a passage with all others, so their buckets hold many classes; blocks are small."""
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", 16)
+    passage = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(300):
+        own = [f"o{k}x{i}" for i in range(40)]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + own[:36] + [f"e{k}"] + own[36:]))]
+    got = found_classes(near_dup.near_duplicates(spark.createDataFrame(rows, EMPTY).repartition(4)))
+    assert got == brute_classes(rows) and len(got) == 300
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join([*base[: k % 200], f"v{k}", *base[k % 200 :]])) for k in range(600)]
