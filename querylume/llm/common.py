@@ -42,11 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: the lineage is cut, and a lost executor costs only a re-read."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: the lineage is cut, and a lost executor costs only a re-read.
+
+    `options` are the writer's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/querylume-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path  # type: ignore[attr-defined]
     return out

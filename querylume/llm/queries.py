@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, lm, near_dup, packing, quality, secrets, sharding, topk, toxicity
-from .common import table
+from .common import shared_dir, table
 
 
 def word_bpe_path() -> str:
@@ -36,7 +37,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.external_shuffle(sharding.digest(table(spark, sf_dir, "documents")))
+    shards = sharding.write_shards(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/querylume-shards-{uuid.uuid4().hex}")
+    return sharding.digest(shards)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

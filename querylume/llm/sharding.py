@@ -2,8 +2,9 @@
 
 Sizes decide how many memory-sized buckets a shard gets.  Pass one scatters: a seeded hash gives each record a
 bucket of its shard, and the records are written with it, so that every later read, a retry's too, sees the
-same buckets.  Pass two collects each bucket in a canonical order, puts it through a Fisher-Yates shuffle
-(Spark's own `shuffle`), and gives its records the slots that follow those of the buckets before it.
+same buckets.  Pass two moves whole records to their buckets, collects each bucket in a canonical order, puts it through a
+Fisher-Yates shuffle (Spark's own `shuffle`), and gives its records the slots that follow those of the buckets
+before it.  `write_shards` writes the texts so placed; `digest` of what it wrote tells the contents apart.
 
 The shard follows the `key` law: doc_id and the shard count alone decide it.  Each shard draws a seeded
 hash for the id and the highest draw wins, so one more shard takes records only into itself.
@@ -16,10 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Names that the operator adds; other columns ride along under their own names.
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+#: Those that say where a record went.
+PLACES = ("law", "shard", "slot", "grown_shard")
 
 
 def draw(key: Column, shard: int, seed: int) -> Column:
@@ -42,33 +45,45 @@ def text_size(text: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size and text_crc32: what the shards' contents can be compared by, without carrying texts."""
+    """doc_id, size and text_crc32, and the places that docs have: what shards can be compared by without their texts."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_size(docs["text"]).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_size(docs["text"]).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[c for c in PLACES if c in docs.columns])
 
 
 def external_shuffle(records: DataFrame, shards: int = 8, seed: int = 20240131, bucket_bytes: int = 16 << 20, bucket_rows: int = 4096) -> DataFrame:
     """`records` with shard, slot (gapless from 0 within its shard), grown_shard and law.
 
-    `records` has doc_id and size; any other columns ride along.  A bucket holds about `bucket_bytes` of
-    `size` and at most about `bucket_rows` rows, whichever gives more buckets; its records are the most
-    that one task collects.  The bucket is drawn from the id, the size and the row's place in its partition,
-    so equal rows, or one id with very many rows, spread over the buckets of their shard.  Null ids
-    share one shard.  An empty table gives no rows.
+    `records` has doc_id and size; any other columns ride along, texts too.  A bucket holds about
+    `bucket_bytes` of `size` and at most about `bucket_rows` rows, whichever gives more buckets; its records
+    are the most that is collected at once.  The bucket is drawn from the id, the size and the row's place in
+    its partition, so equal rows, or one id with very many rows, spread over the buckets of their shard.  Null
+    ids share one shard.  An empty table gives no rows.
     """
+    return place(*scatter(records, shards, seed, bucket_bytes, bucket_rows), shards, seed)
+
+
+def scatter(records: DataFrame, shards: int, seed: int, bucket_bytes: int = 16 << 20, bucket_rows: int = 4096) -> tuple[DataFrame, int]:
+    """Pass one: the written records with shard and bucket, numbered over all shards, and the number of buckets."""
     total = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     buckets = max(1, -(-total["bytes"] // (bucket_bytes * shards)), -(-total["n"] // (bucket_rows * shards)))
-    carried = [c for c in records.columns if c not in ("shard", "slot", "grown_shard", "law")]
-    scattered = records.select(
+    carried = [c for c in records.columns if c not in PLACES]
+    drawn = records.select(
         shard_of(F.col("doc_id"), shards, seed).alias("shard"),
         F.pmod(F.xxhash64(F.col("doc_id"), F.col("size"), F.monotonically_increasing_id(), F.lit(seed)), F.lit(buckets)).alias("bucket"),
         F.struct(*[F.col(c) for c in carried]).alias("record"),
     )
-    rows = written(scattered, "scattered")
-    gathered = rows.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
+    scattered = drawn.withColumn("bucket", (F.col("bucket") * shards + F.col("shard")).cast("int"))
+    return written(scattered, "scattered", compression="zstd"), buckets * shards
+
+
+def place(rows: DataFrame, buckets: int, shards: int, seed: int) -> DataFrame:
+    """Pass two.  One bucket goes to a task, and none is collected before it has moved."""
+    carried = rows.schema["record"].dataType.names
+    moved = rows.repartitionById(buckets, "bucket")
+    gathered = moved.groupBy("bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    placed = gathered.join(offsets, ["shard", "bucket"]).select("shard", "first_slot", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "record"))
+    placed = gathered.join(F.broadcast(offsets), "bucket").select("shard", "first_slot", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "record"))
     return placed.select(
         *[F.col("record")[c].alias(c) for c in carried],
         F.lit("key").alias("law"),
@@ -78,8 +93,11 @@ def external_shuffle(records: DataFrame, shards: int = 8, seed: int = 20240131,
     )
 
 
-def write_shards(records: DataFrame, path: str, shards: int = 8, **options) -> None:
-    """Write whole records as Parquet, one directory a shard, each file in slot order."""
+def write_shards(records: DataFrame, path: str, shards: int = 8, seed: int = 20240131, **options) -> DataFrame:
+    """Write whole records as Parquet, one directory a shard, each file in slot order; returns them as written."""
     sized = records.select("*", text_size(F.col("text")).alias("size")) if "size" not in records.columns else records
-    out = external_shuffle(sized, shards, **options)
+    rows, buckets = scatter(sized, shards, seed, **options)
+    out = place(rows, buckets, shards, seed)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    discard(rows)
+    return records.sparkSession.read.schema(out.schema).parquet(path)

@@ -111,6 +111,16 @@ def test_written_shards_are_whole(spark, odd, tmp_path):
     assert back.select("doc_id", "text").exceptAll(odd.select("doc_id", "text")).isEmpty()
 
 
+def test_query_reads_shards_of_whole_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    files = {f.rpartition("/")[0].rpartition("/")[0] for f in QUERIES["op5_sharding"](spark, small).inputFiles()}
+    (top,) = files
+    back = spark.read.parquet(top)
+    assert back.count() == docs.count() and set(docs.columns) <= set(back.columns)
+    assert back.select(docs.columns).exceptAll(docs).isEmpty()
+    assert {f.rpartition("/")[0].rpartition("/")[2] for f in back.inputFiles()} == {f"shard={i}" for i in range(8)}
+
+
 def told(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
