@@ -1,35 +1,40 @@
 """Hierarchical multi-length packing of tokenised documents.
 
-Every task packs the documents of its own partition, so nothing is shuffled and an executor's loss costs
-only its own partitions' work.  A document's full windows are sequences of their own.  Its tail is routed
+The result holds the token ids of every piece, so the sequences can be trained on as they are.  Every task packs
+the documents of its own partition, so no text or id is shuffled and an executor's loss costs only its own
+partitions' work.  A document's full windows are sequences of their own.  Its tail is routed
 to the smallest context size (tier) that holds it.  The longest waiting tail opens a window of its tier;
 shorter tails fill the gap, largest first, and the last one is cut where the window ends.  So windows of
-all tiers are full; at most one sequence a partition, under the smallest tier, needs padding.  Windows of
-one tier are dealt to step groups that all hold `step_tokens` tokens.
+all tiers are full; at most one sequence a partition, under the smallest tier, needs padding.  The
+written windows of one tier are numbered over all partitions, from counts, and dealt in that order to step groups of
+`step_tokens` tokens; only the last group of each tier is short, by less than that.
 """
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import bounded_arrow_batches, raw_bytes
+from .common import bounded_arrow_batches, raw_bytes, written
 from .word_bpe import Pieces
 
 TIERS = (256, 512, 1024, 2048)
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: `ids` are the piece's token ids, four bytes each, little-endian: np.frombuffer(ids, "<u4").
+SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: What the tasks give out: `part` is their partition, `at` a sequence's number in its partition and tier.
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, part int, at long"
 
 
 class Packer:
-    """Packs (doc_id, start, doc_tokens, ids) pieces; `out` collects rows of SCHEMA."""
+    """Packs (doc_id, start, doc_tokens, ids) pieces; `out` collects rows of PIECES."""
 
-    def __init__(self, part: int, tiers: tuple[int, ...], step_tokens: int, waiting: int):
-        self.base, self.tiers, self.step_tokens, self.limit = part << 33, tiers, step_tokens, waiting
+    def __init__(self, part: int, tiers: tuple[int, ...], waiting: int):
+        self.part, self.tiers, self.limit = part, tiers, waiting
         self.window, self.sequences, self.number = tiers[-1], 0, 0
         self.steps = dict.fromkeys(tiers, 0)
         self.waiting: list[tuple[int, int]] = []  # (length, key), sorted
@@ -98,11 +103,10 @@ class Packer:
             self.emit(chosen, self.window)
 
     def emit(self, chosen: list[tuple], tier: int) -> None:
-        sequence, offset = self.base + self.sequences, 0
-        group = self.base + (self.steps[tier] * tier // self.step_tokens) * len(self.tiers) + self.tiers.index(tier)
+        sequence, offset = (self.part << 33) + self.sequences, 0
         for doc_id, start, total, ids in chosen:
             length = len(ids) // 4
-            self.out.append((doc_id, start, length, zlib.crc32(ids), total, sequence, offset, tier, group))
+            self.out.append((doc_id, start, length, ids, total, sequence, offset, tier, self.part, self.steps[tier]))
             offset += length
         self.sequences += 1
         self.steps[tier] += 1
@@ -125,24 +129,39 @@ def pack_documents(
     holds.  The tokenizer file must be readable by that path on every machine.
     """
     bounded_arrow_batches(docs.sparkSession)
-    types = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()]
+    names = [x.split()[0] for x in PIECES.split(", ")]
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, pieces = Packer(TaskContext.get().partitionId(), tiers, step_tokens, waiting), Pieces(tokenizer_path)
+        packer, pieces = Packer(TaskContext.get().partitionId(), tiers, waiting), Pieces(tokenizer_path)
 
-        def rows() -> pa.RecordBatch:
-            columns = zip(*packer.out, strict=True) if packer.out else [()] * len(names)
-            out = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
+        def rows() -> Iterator[pa.RecordBatch]:
+            """What has been packed, at most 4,096 pieces (32 MiB of ids for windows of 2,048) to a batch."""
+            for at in range(0, len(packer.out), 4096):
+                columns = zip(*packer.out[at : at + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
             packer.out.clear()
-            return out
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
                 packer.add(doc_id, pieces.encode(text) + end)
-            yield rows()
+                if len(packer.out) >= 4096:
+                    yield from rows()
+            yield from rows()
         packer.finish()
-        yield rows()
+        yield from rows()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)
+    packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECES)
+    return step_groups(written(packed, "packed"), tiers, step_tokens)
+
+
+def step_groups(packed: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> DataFrame:
+    """SCHEMA of written PIECES.  Only counts, one row a partition and tier, are exchanged and broadcast."""
+    before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = packed.groupBy("tier", "part").agg((F.max("at") + 1).alias("n"))
+    first = counts.select("tier", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    step = F.floor((F.col("first") + F.col("at")) * F.col("tier") / step_tokens).cast("long")
+    group = step * len(tiers) + F.array_position(F.array(*map(F.lit, tiers)), F.col("tier")) - 1
+    named = packed.join(F.broadcast(first), ["tier", "part"]).withColumns({"step_group": group, "ids_crc32": F.crc32("ids")})
+    return named.select([x.split()[0] for x in SCHEMA.split(", ")])

@@ -24,7 +24,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path()).drop("ids")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,19 @@ def test_packing(spark, small):
     assert packing.pack_documents(docs.limit(0), word_bpe_path()).count() == 0
 
 
+def test_packed_ids_and_whole_step_groups(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").repartition(3)
+    rows, pieces = packing.pack_documents(docs, word_bpe_path(), step_tokens=4096).collect(), Pieces(word_bpe_path())
+    parts, groups = defaultdict(list), defaultdict(dict)
+    for r in sorted(rows, key=lambda r: r["start"]):
+        parts[r["doc_id"]].append(bytes(r["ids"]))
+        groups[r["tier"], r["step_group"]][r["sequence_id"]] = r["tier"]
+    assert all(b"".join(parts[d["doc_id"]]) == pieces.encode((d["text"] or "").encode()) + b"\1\0\0\0" for d in docs.collect())
+    assert len({g for _, g in groups}) == len(groups)
+    short = Counter(tier for (tier, _), found in groups.items() if sum(found.values()) < 4096)
+    assert max(short.values()) == 1
+
+
 # -- language model -------------------------------------------------------------------------------------
 
 SMALL_MODEL = lm.Settings(states=3, own=50, kinds=16, hot=200, rounds=2, start_rows=50, start_rounds=3)
