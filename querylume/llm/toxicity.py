@@ -5,8 +5,8 @@ mean of its distinct words.  The softmax over it and the vectors are fitted toge
 bounded sample.  As everything up to the softmax is a mean, a word adds a fixed amount before averaging;
 workers keep those amounts, so a spelling never seen still gets what its n-grams say.
 
-A few words among thousands vanish in a long text's mean.  So a text is scored passage by passage, all of
-it, with PASSAGE words to a mean, and its highest passage counts; scores are calibrated on such margins.
+A few words among thousands vanish in a long text's mean.  So a text is scored by all its passages of
+PASSAGE words in a row, one from each word on, and its highest passage counts; scores are calibrated on such margins.
 After the whole texts, training goes on with the passages that the model itself holds highest.
 """
 
@@ -26,15 +26,29 @@ from .labelled import calibration, logistic, split_of, training_sample
 BUCKETS, SHORTEST, LONGEST = 1 << 16, 3, 5
 #: Words of a passage; a shorter one is averaged as if words that say nothing filled it.
 PASSAGE = 4
+#: Bytes of a word; longer ones count as the stretches that make them up.
+STRETCH = 64
 
 
 def subwords(word: bytes) -> list[int]:
-    """Buckets of the word and its byte n-grams, with marks at its ends."""
-    marked = b"<" + word[:64] + b">"
+    """Buckets of the whole word and its byte n-grams, with marks at its ends."""
+    marked = b"<" + word + b">"
     grams = [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g) % BUCKETS for g in (b"=" + word, *grams)]
 
 
+def stretches(words: list[bytes]) -> list[bytes]:
+    """The words, each of more than STRETCH bytes as the consecutive stretches that make it up.
+
+    So unspaced scripts are scored along their whole length, and no word's n-grams are left out.
+    Neighbouring stretches share LONGEST - 1 bytes, so that every n-gram of the word is in one of them.
+    """
+    if max(map(len, words), default=0) <= STRETCH:
+        return words
+    step = STRETCH - LONGEST + 1
+    return [w[i : i + STRETCH] for w in words for i in range(0, max(1, len(w) - LONGEST + 1), step)]
+
+
 class Subwords(dict):
     """Word -> its buckets, kept for the words met first."""
 
@@ -109,7 +123,20 @@ class WordAmounts(dict):
 
 def passage_means(words: list[bytes], amounts: WordAmounts) -> np.ndarray:
     x = np.fromiter(map(amounts.__getitem__, words), np.float64, len(words))
-    return np.add.reduceat(x, np.arange(0, len(x), PASSAGE)) / PASSAGE if len(x) else np.zeros(1)
+    if len(x) <= PASSAGE:
+        return np.array([x.sum() / PASSAGE])
+    return sum(x[i : len(x) - PASSAGE + 1 + i] for i in range(PASSAGE)) / PASSAGE
+
+
+def highest_apart(means: np.ndarray, most: int) -> list[int]:
+    """The first words of the `most` highest passages that share no word."""
+    chosen: list[int] = []
+    for i in np.argsort(-means, kind="stable"):
+        if all(abs(i - c) >= PASSAGE for c in chosen):
+            chosen.append(int(i))
+            if len(chosen) == most:
+                break
+    return chosen
 
 
 def highest_passage(words: list[bytes], amounts: WordAmounts) -> float:
@@ -124,8 +151,8 @@ def refine(net: Embeddings, texts: list[bytes], y: np.ndarray, rounds: int, epoc
         for text, label in zip(texts, y, strict=True):
             words = text.split()
             means = passage_means(words, amounts)
-            for i in np.argsort(-means)[: 1 if label else most]:
-                passage = words[PASSAGE * i : PASSAGE * (i + 1)]
+            for i in highest_apart(means, 1 if label else most):
+                passage = words[i : i + PASSAGE]
                 place, share = bag(passage, known)
                 bags.append((place, share * np.float32(len(set(passage)) / PASSAGE)))
                 labels.append(label)
@@ -137,7 +164,7 @@ class Model:
         self.amounts, self.slope, self.intercept = amounts, slope, intercept
 
     def scores(self, texts: list[bytes], words: WordAmounts) -> np.ndarray:
-        margins = np.array([highest_passage(t.translate(WORDS).split(), words) for t in texts])
+        margins = np.array([highest_passage(stretches(t.translate(WORDS).split()), words) for t in texts])
         return logistic(self.slope * margins + self.intercept)
 
 
@@ -151,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 40
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Subwords()
         for batch in batches:
-            texts = [t.translate(WORDS).split() for t in raw_bytes(batch.column(1))]
+            texts = [stretches(t.translate(WORDS).split()) for t in raw_bytes(batch.column(1))]
             bags = [bag(t, known) for t in texts]
             columns = [batch.column(0), pa.array([a.tobytes() for a, _ in bags], pa.binary()), pa.array([b.tobytes() for _, b in bags], pa.binary()), pa.array([b" ".join(t) for t in texts], pa.binary()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "share", "words", "y"])

@@ -75,3 +75,22 @@ def test_unseen_misspellings_share_ngrams(spark):
     syllables = ["ka", "lo", "mi", "te", "ru", "so"]
     harmless = [f"{a}{b}{c}".encode() for a in syllables for b in syllables for c in syllables]
     assert min(amounts[b"moronnn"], amounts[b"xworthless"]) > max(amounts[w] for w in harmless)
+
+
+def test_all_of_a_long_word_and_every_passage_count():
+    amounts = toxicity.WordAmounts(np.zeros(toxicity.BUCKETS))
+    amounts.update({b"bad": 1.0, b"mm": 0.0})
+    for before in range(8):
+        assert toxicity.highest_passage([b"mm"] * before + [b"bad"] * 4 + [b"mm"] * 8, amounts) == 1
+    insult = "\u7b28\u86cb\u767d\u75f4".encode()
+    told = np.zeros(toxicity.BUCKETS)
+    told[toxicity.subwords(insult)] = 1
+    model = toxicity.Model(told, 1.0, 0.0)
+    filler = "\u5929\u6c14".encode() * 100
+    plain, *rest = model.scores([filler, filler + insult, filler[:300] + insult + filler[300:]], toxicity.WordAmounts(told))
+    assert min(rest) > plain
+    for size in (1, 63, 64, 65, 124, 125, 600, 601):
+        word = (bytes(range(128, 256)) * 5)[:size]
+        grams = {word[i : i + n] for n in (3, 4, 5) for i in range(size - n + 1)}
+        pieces = toxicity.stretches([b"a", word])
+        assert max(map(len, pieces)) <= 64 and all(any(g in x for x in pieces) for g in grams)
