@@ -28,7 +28,7 @@ WIDTH = 1 << 18
 class TokenHashes(dict):
     def __missing__(self, token: str) -> int:
         out = zlib.crc32(token.encode("utf-8", "replace"))
-        if len(self) < 300_000:
+        if len(self) < 300_000 and len(token) <= 64:
             self[token] = out
         return out
 
@@ -36,7 +36,7 @@ class TokenHashes(dict):
 def shape(token: str) -> str:
     """Punctuation stands for itself; words for their case, or for having digits."""
     if not (token[0].isalnum() or token[0] == "_"):
-        return token[:4]
+        return token
     if any(c.isdigit() for c in token):
         return "0"
     return "AA" if token.isupper() and len(token) > 1 else "Aa" if token[:1].isupper() else "aa" if token.islower() else "x"
@@ -45,7 +45,7 @@ def shape(token: str) -> str:
 class ShapeHashes(dict):
     def __missing__(self, token: str) -> int:
         out = zlib.crc32(b"shape " + shape(token).encode("utf-8", "replace"))
-        if len(self) < 300_000:
+        if len(self) < 300_000 and len(token) <= 64:
             self[token] = out
         return out
 
