@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+#: Bytes of the longest pieces and pre-tokens that are kept, so that a cache of so many entries is bounded.
+KEPT = 64
 #: Control characters, no-break space, and everything from U+0250 on.
 UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0ɐ-\U0010ffff]")
 #: The vocabulary's pre-token pattern over the other characters, after lower-casing.
@@ -34,7 +36,7 @@ class PreTokens(dict):
     def __missing__(self, word: str) -> bytes:
         spelled = "".join([self.letters[b] for b in word.encode()])
         out = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(word) <= KEPT:
             self[word] = out
         return out
 
@@ -60,7 +62,7 @@ class Pieces(dict):
                 out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 out = b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(low)))
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(piece) <= KEPT:
             self[piece] = out
         return out
 
