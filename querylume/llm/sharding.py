@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
-#: Names that the operator adds; other columns ride along under their own names.
-ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-#: Those that say where a record went.
+#: Names that say where a record went, and its size.
 PLACES = ("law", "shard", "slot", "grown_shard")
+SIZE = "size"
 
 
 def draw(key: Column, shard: int, seed: int) -> Column:
@@ -50,34 +49,49 @@ def digest(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_size(docs["text"]).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *[c for c in PLACES if c in docs.columns])
 
 
+def named_apart(records: DataFrame, *taken: str) -> DataFrame:
+    """`records` with columns of these names kept as `<name>_before`, or with more such endings until no name is taken twice."""
+    names = list(records.columns)
+    for i, name in enumerate(names):
+        if name in taken:
+            while name in (*taken, *names):
+                name += "_before"
+            names[i] = name
+    return records.toDF(*names)
+
+
 def external_shuffle(records: DataFrame, shards: int = 8, seed: int = 20240131, bucket_bytes: int = 16 << 20, bucket_rows: int = 4096) -> DataFrame:
     """`records` with shard, slot (gapless from 0 within its shard), grown_shard and law.
 
-    `records` has doc_id and size; any other columns ride along, texts too.  A bucket holds about
+    `records` has doc_id and size; any other columns ride along, texts too; those named like one of PLACES get
+    another name (see named_apart).  A bucket holds about
     `bucket_bytes` of `size` and at most about `bucket_rows` rows, whichever gives more buckets; its records
     are the most that is collected at once.  The bucket is drawn from the id, the size and the row's place in
     its partition, so equal rows, or one id with very many rows, spread over the buckets of their shard.  Null
     ids share one shard.  An empty table gives no rows.
     """
-    return place(*scatter(records, shards, seed, bucket_bytes, bucket_rows), shards, seed)
+    return place(*scatter(named_apart(records, *PLACES), shards, seed, bucket_bytes, bucket_rows), shards, seed)
 
 
 def scatter(records: DataFrame, shards: int, seed: int, bucket_bytes: int = 16 << 20, bucket_rows: int = 4096) -> tuple[DataFrame, int]:
     """Pass one: the written records with shard and bucket, numbered over all shards, and the number of buckets."""
     total = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     buckets = max(1, -(-total["bytes"] // (bucket_bytes * shards)), -(-total["n"] // (bucket_rows * shards)))
-    carried = [c for c in records.columns if c not in PLACES]
     drawn = records.select(
         shard_of(F.col("doc_id"), shards, seed).alias("shard"),
         F.pmod(F.xxhash64(F.col("doc_id"), F.col("size"), F.monotonically_increasing_id(), F.lit(seed)), F.lit(buckets)).alias("bucket"),
-        F.struct(*[F.col(c) for c in carried]).alias("record"),
+        F.struct(*records.columns).alias("record"),
     )
     scattered = drawn.withColumn("bucket", (F.col("bucket") * shards + F.col("shard")).cast("int"))
     return written(scattered, "scattered", compression="zstd"), buckets * shards
 
 
 def place(rows: DataFrame, buckets: int, shards: int, seed: int) -> DataFrame:
-    """Pass two.  One bucket goes to a task, and none is collected before it has moved."""
+    """Pass two.  One bucket goes to a task, and none is collected before it has moved.
+
+    Partition b holds bucket b alone, sorted, and `shuffle` draws from its seed and the partition's number.  So a
+    task that runs again, after an executor is lost, places the same records in the same slots.
+    """
     carried = rows.schema["record"].dataType.names
     moved = rows.repartitionById(buckets, "bucket")
     gathered = moved.groupBy("bucket").agg(F.array_sort(F.collect_list("record")).alias("records"))
@@ -94,8 +108,11 @@ def place(rows: DataFrame, buckets: int, shards: int, seed: int) -> DataFrame:
 
 
 def write_shards(records: DataFrame, path: str, shards: int = 8, seed: int = 20240131, **options) -> DataFrame:
-    """Write whole records as Parquet, one directory a shard, each file in slot order; returns them as written."""
-    sized = records.select("*", text_size(F.col("text")).alias("size")) if "size" not in records.columns else records
+    """Write whole records as Parquet, one directory a shard, each file in slot order; returns them as written.
+
+    `size` is the text's; columns of `records` named like it or like one of PLACES get another name (see named_apart).
+    """
+    sized = named_apart(records, SIZE, *PLACES).withColumn(SIZE, text_size(F.col("text")))
     rows, buckets = scatter(sized, shards, seed, **options)
     out = place(rows, buckets, shards, seed)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
