@@ -39,18 +39,19 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     Turns are ordered by turn, then role, then text; null turns come first.  A null role or text is empty.
     Repeated rows are turns of their own.  Rows with a null conv_id form one conversation.  Other columns
     are ignored; an empty table gives no rows.  A conversation is one output string, so it is what a task
-    must hold; the escaping happens before the grouping, row by row.
+    must hold; turns are escaped only once they are in order, as escaping changes the order of texts.
     """
     turns = conversations.select(
         conversations["conv_id"].cast("long").alias("conv_id"),
         F.struct(
             conversations["turn"].cast("long").alias("turn"),
-            escape_role(F.coalesce(conversations["role"], F.lit(""))).alias("role"),
-            escape(F.coalesce(conversations["text"], F.lit(""))).alias("text"),
+            F.coalesce(conversations["role"], F.lit("")).alias("role"),
+            F.coalesce(conversations["text"], F.lit("")).alias("text"),
         ).alias("turn"),
     )
     ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    merged = ordered.select("conv_id", runs_of(F.col("turns")).alias("runs"))
+    safe = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    merged = ordered.select("conv_id", safe.alias("turns")).select("conv_id", runs_of(F.col("turns")).alias("runs"))
     pieces = F.transform("runs", lambda r: F.concat(F.lit(OPEN), r["role"], F.lit(HEAD_END), F.array_join(r["texts"], PART), F.lit(CLOSE)))
     return merged.select("conv_id", F.array_join(pieces, "").alias("formatted"))
 
