@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, Shared, bounded_arrow_batches, raw_bytes, written
+from .common import WORDS, Shared, bounded_arrow_batches, discard, raw_bytes, written
 
 WORD_BYTES = re.compile(rb"[0-9a-zA-Z\x80-\xff]+")
 FOUND = "n_words long, hits array<struct<first:int,last:int>>, items array<string>, longest int"
@@ -212,28 +212,48 @@ def scan(automaton, before: bool):
     return run
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
+def stretches(items: DataFrame, window: int, words: int) -> DataFrame:
+    """item and text of the distinct items; those of over `words` words as stretches that overlap by window - 1 words.
+
+    So every window of an item is in a stretch, and no row is longer than a block can hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1)), strict=True):
+                found = words_of(text)
+                step = max(1, words - window + 1)
+                parts = [b" ".join(found[i : i + words]) for i in range(0, max(1, len(found) - window + 1), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.binary())], names=["item", "words"])
+
+    named = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item"), F.coalesce(items["text"], F.lit("")).alias("text"))
+    return named.mapInArrow(run, "item string, words binary").distinct()
+
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 2 << 20, stretch: int = 8192) -> DataFrame:
     """`docs` (with a text column) and the columns of FOUND.
 
     hits: merged spans of word positions, first to last, that lie in an occurrence of some window; items:
     ids as text, sorted, of the items with such a window; longest: the longest match of any hit.  Null
-    texts have no words.  An item without words, or null, has no window; repeated item ids count once; a
-    null item id reads ''.  Without items nothing is hit.  Columns named like FOUND's are replaced.
+    texts have no words.  An item without words, or null, has no window; repeated items count once; a
+    null item id reads ''.  Without items nothing is hit.  Columns named like FOUND's are replaced.  A match
+    counts within a stretch of `stretch` words of a longer item.
     """
     spark = docs.sparkSession
     bounded_arrow_batches(spark)
     kept = [c for c in docs.columns if c not in FOUND_TYPES]
     docs = docs.select(*kept)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + FOUND
-    named = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item"), F.coalesce(items["text"], F.lit("")).alias("text"))
-    total = named.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    named = written(stretches(items, window, stretch), "items")
+    total = named.agg(F.sum(F.octet_length("words")).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        automaton = ItemAutomaton(sorted((r["item"], words_of(r["text"].encode())) for r in rows), window)
+        rows = named.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).collect()
+        automaton = ItemAutomaton(sorted((r["item"], bytes(r["words"]).split()) for r in rows), window)
         docs = docs.mapInArrow(scan(Shared(spark, automaton), b > 0), shape)
         if b + 1 < blocks:
             docs = written(docs, "hits")
+    discard(named)
     return docs
 
 
@@ -277,7 +297,8 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """`docs` without the passages they share with items: every hit span of `window` words or more (or a whole
     shorter item) is cut out of the text, and a document is dropped if hits cover over `max_coverage` of its
-    words.  Documents without hits stay as they are, null and empty texts too."""
+    words.  Documents without hits stay as they are, null and empty texts, repeated rows and null ids too.  An
+    empty table of documents gives no rows, one of items leaves all documents alone."""
     found = find_hits(docs, items, window)
     under = found.where(hit_words(F.col("hits")) <= F.col("n_words") * F.lit(max_coverage))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in under.schema)
