@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_arrow_batches, sliced
 
-#: Queries in a block, at most, and candidates scored at once: bounds of the broadcast and of a task's memory.
-BLOCK, STEP = 1024, 1024
+#: Bytes of the queries in a block, about, and scores that a task holds of each slice: bounds of the broadcast and of its memory.
+BLOCK_BYTES, SCORES = 2 << 20, 2 << 20
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def scan(block, slices: int, k: int, cutoff, largest: int):
         def merge(found: list[tuple]) -> tuple:
             return best_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
 
-        for batch in sliced(batches, STEP):
+        for batch in sliced(batches, max(1, SCORES // len(q))):
             ids = batch.column(0).to_numpy()
             c = matrix(batch.column(1), q.shape[1]).astype(kind)
             parts = [q[:, cut] @ c[:, cut].T for cut in cuts]
@@ -106,16 +106,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slices: int = 4) ->
     `vectors` has vec_id and q (see whole_vectors).  Components past the query's length, or missing ones,
     count as zero.  Repeated rows are candidates of their own; a repeated query id is one query, with its
     smallest vector.  Rows with a query's own id are never its candidates.  No queries, or no candidates,
-    give no rows.  Queries are taken in blocks of about BLOCK by a hash of the id: a block is what is
-    broadcast, and each block scans all candidates twice.
+    give no rows.  Queries are taken in blocks of about BLOCK_BYTES by a hash of the id: a block is what is
+    broadcast, and each block scans all candidates twice.  Whole numbers so large that a score might not fit
+    into 64 bits raise an OverflowError.
     """
     spark = vectors.sparkSession
     bounded_arrow_batches(spark)
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n = queries.count()
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("width")).first()
+    n, width = size["n"], max(1, size["width"] or 1)
     most = vectors.agg(F.max(F.array_max(F.transform("q", lambda v: F.abs(v)))).alias("m")).first()["m"] or 0
     shape = "query_id long, vec_id long, score long"
-    blocks = -(-n // BLOCK)
+    if most * most * width >= 2**63:
+        raise OverflowError(f"scores of {width} whole numbers of up to {most} do not fit into 64 bits")
+    blocks = -(-n * width * 8 // BLOCK_BYTES)
     out = spark.createDataFrame([], shape)
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
