@@ -75,11 +75,25 @@ class Embeddings:
         self.vectors = (rng.standard_normal((BUCKETS, size)) / size).astype(np.float32)
         self.softmax, self.bias = rng.standard_normal((size, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
 
+    def gradients(self, place: np.ndarray, share: np.ndarray, lengths: list[int], y: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Mean cross-entropy of texts with these buckets and shares, one after the other, and its slopes."""
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        means = np.add.reduceat(self.vectors[place] * share[:, None], starts, axis=0)
+        logits = means @ self.softmax + self.bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        loss = float(-np.log(p[np.arange(len(y)), y]).mean())
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        back = p @ self.softmax.T
+        slope = np.stack([np.bincount(place, weights=share * back[doc, k], minlength=BUCKETS) for k in range(self.vectors.shape[1])], axis=1)
+        return loss, (slope, means.T @ p, p.sum(axis=0))
+
     def train(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, rate: float, batch: int, drop: float, decay: float, seed: int) -> None:
         """Adagrad on the mean cross-entropy; `drop` of a text's buckets are left out at random, `decay` shrinks vectors."""
         rng = np.random.default_rng(seed)
         squares = [np.full_like(p, 1e-8) for p in (self.vectors, self.softmax, self.bias)]
-        size = self.vectors.shape[1]
         for _ in range(epochs):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
@@ -87,19 +101,9 @@ class Embeddings:
                 place = np.concatenate([bags[i][0] for i in chosen])
                 share = np.concatenate([bags[i][1] for i in chosen])
                 share = share * (rng.random(len(share), dtype=np.float32) >= drop) / (1 - drop)
-                lengths = [len(bags[i][0]) for i in chosen]
-                doc = np.repeat(np.arange(len(chosen)), lengths)
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                means = np.add.reduceat(self.vectors[place] * share[:, None], starts, axis=0)
-                logits = means @ self.softmax + self.bias
-                p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(chosen)), y[chosen]] -= 1
-                p /= len(chosen)
-                back = p @ self.softmax.T
-                slope = np.stack([np.bincount(place, weights=share * back[doc, k], minlength=BUCKETS) for k in range(size)], axis=1)
+                _, (slope, *rest) = self.gradients(place, share, [len(bags[i][0]) for i in chosen], y[chosen])
                 slope += decay * self.vectors
-                for parameter, square, gradient in zip((self.vectors, self.softmax, self.bias), squares, (slope, means.T @ p, p.sum(axis=0)), strict=True):
+                for parameter, square, gradient in zip((self.vectors, self.softmax, self.bias), squares, (slope, *rest), strict=True):
                     square += gradient**2
                     parameter -= rate * gradient / np.sqrt(square)
 
