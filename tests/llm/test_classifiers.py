@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querylume.llm import quality, toxicity
+from querylume.llm import labelled, quality, toxicity
 
 BAD = ["idiot", "moron", "scumbag", "worthless"]
 
@@ -94,3 +94,60 @@ def test_all_of_a_long_word_and_every_passage_count():
         grams = {word[i : i + n] for n in (3, 4, 5) for i in range(size - n + 1)}
         pieces = toxicity.stretches([b"a", word])
         assert max(map(len, pieces)) <= 64 and all(any(g in x for x in pieces) for g in grams)
+
+
+def test_log_count_ratios_and_dual_against_plain_ones(monkeypatch):
+    monkeypatch.setattr(quality, "WIDTH", 40)
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(40, int(rng.integers(1, 15)), replace=False)) for _ in range(60)]
+    y = np.array([int((x < 12).sum() > (x > 27).sum()) for x in rows])
+    ratios = quality.log_count_ratios(rows, y)
+    counts = {c: [1 + sum(j in x.tolist() for x, v in zip(rows, y, strict=True) if v == c) for j in range(40)] for c in (0, 1)}
+    for j in range(40):
+        expected = np.log(counts[1][j] / sum(counts[1])) - np.log(counts[0][j] / sum(counts[0]))
+        assert np.isclose(ratios[j], expected if counts[0][j] + counts[1][j] >= 4 else 0)
+    values = [ratios[x] / (np.linalg.norm(ratios[x]) or 1) for x in rows]
+    cost, sign = np.full(60, 0.5), 2.0 * y - 1
+    w = quality.dual_coordinate_descent(rows, values, sign, cost, 300, 1)
+    dense = np.zeros((60, 41))
+    for i, (x, v) in enumerate(zip(rows, values, strict=True)):
+        dense[i, x], dense[i, -1] = v, 1
+    signed = dense * sign[:, None]
+    alpha, step = np.zeros(60), 1 / np.linalg.norm(signed @ signed.T, 2)
+    for _ in range(20000):  # projected gradient on the same dual
+        alpha = np.clip(alpha - step * (signed @ (signed.T @ alpha) - 1), 0, cost)
+    primal = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - signed @ w)).sum()
+    assert abs(primal(w) - primal(signed.T @ alpha)) < 1e-2
+
+
+def test_gradients_are_finite_differences():
+    net, rng, step = toxicity.Embeddings(4, 1), np.random.default_rng(2), 1e-5
+    net.vectors, net.softmax, net.bias = (p.astype(np.float64) for p in (net.vectors, net.softmax, net.bias))
+    place, share, lengths, y = rng.integers(0, 50, 12), rng.random(12), [3, 4, 5], np.array([0, 1, 1])
+    _, slopes = net.gradients(place, share, lengths, y)
+    for parameter, slope in zip((net.vectors, net.softmax, net.bias), slopes, strict=True):
+        flat, told = parameter.reshape(-1), slope.reshape(-1)
+        for i in rng.integers(0, 200 if len(flat) > 200 else len(flat), 20):
+            before, out = flat[i], []
+            for way in (1, -1):
+                flat[i] = before + way * step
+                out.append(net.gradients(place, share, lengths, y)[0])
+            flat[i] = before
+            assert np.isclose(told[i], (out[0] - out[1]) / (2 * step), atol=1e-6)
+
+
+def test_punctuation_counts_whole():
+    a, b = quality.Hashes(), quality.Hashes()
+    assert not np.array_equal(quality.features("x !!!! y !!!! z", a), quality.features("x !!!!? y !!!!? z", b))
+    assert quality.shape("!!!!?") != quality.shape("!!!!")
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs, labels, known = corpus(spark, 100)
+    sample, _ = labelled.training_sample(docs.withColumn("y", F.lit("clash")), labels, "quality", 1000, 1, sample_bytes=3000)
+    rows = sample.collect()
+    assert 5 < len(rows) and sum(len(r["text"]) for r in rows) <= 3000 and len({r["doc_id"] for r in rows}) == len(rows)
+    assert all(r["y"] == known[r["doc_id"]][0] for r in rows)
+    whole, _ = labelled.training_sample(docs.unionByName(docs.withColumn("text", F.lit("\x01"))), labels, "quality", 1000, 1)
+    assert {r["text"] for r in whole.collect()} <= {"\x01", ""}  # the first of several texts in the order of their bytes
+    assert labelled.fitting([(1, 5), (2, 9), (3, 1)], 6) == [2]

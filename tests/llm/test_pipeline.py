@@ -2,6 +2,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from querylume.llm import decontaminate, near_dup, secrets
 from querylume.llm.common import DOCUMENT_COLUMNS
@@ -33,6 +35,29 @@ def test_stages(spark, small, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in masked.select("doc_id").collect()}
 
 
+def test_run_over_odd_rows(spark, small, tmp_path):
+    """Nulls, empty, repeated and very long texts, and an extra column with the name of an operator's own."""
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "documents":
+            odd = [(None, "null id, with words of its own", "en", "s", 1), (90001, None, None, None, None), (90002, "", "en", "s", 0), (90003, "some words again and again " * 40_000, "en", "s", 5)]
+            extra = spark.createDataFrame(odd, rows.select(*DOCUMENT_COLUMNS).schema)
+            rows = rows.unionByName(extra, allowMissingColumns=True).unionByName(rows.limit(20)).withColumn("score", F.lit("mine")).withColumn("row", F.lit(1))
+        rows.write.parquet(f"file://{tmp_path}/in/{name}.parquet")
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}/in")
+    assert packed.count() > 0 and packed.where("length <= 0 or length > 2048").isEmpty()
+    docs = spark.read.parquet(f"file://{tmp_path}/in/documents.parquet")
+    whole = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.countDistinct("doc_tokens").alias("k"))
+    assert whole.where("n <> all or k <> 1").isEmpty()  # repeated rows have gone, and nothing is cut short
+    assert packed.select("doc_id").exceptAll(packed.select("doc_id")).isEmpty() and packed.join(docs, "doc_id", "left_anti").where("doc_id is not null").isEmpty()
+
+
+def test_run_over_empty_tables(spark, small, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without llm folders and pipeline, the entry point still imports and has the other queries."""
     for x in ("querylume", "__spark_entry__.py"):

@@ -1,5 +1,6 @@
 """Decontamination, near duplicates, packing, language model and top-k against brute force."""
 
+import itertools
 import math
 import re
 import zlib
@@ -289,7 +290,7 @@ def test_packed_ids_and_whole_step_groups(spark, small):
 
 # -- language model -------------------------------------------------------------------------------------
 
-SMALL_MODEL = lm.Settings(states=3, own=50, kinds=16, hot=200, rounds=2, start_rows=50, start_rounds=3)
+SMALL_MODEL = lm.Settings(states=3, own=50, kinds=16, hot=200, rounds=2, start_pieces=50, start_rounds=3)
 
 
 def tokens(text):
@@ -375,9 +376,77 @@ def test_top_k(spark, seed):
 
 
 def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 3 * 5 * 8)
+    monkeypatch.setattr(topk, "SCORES", 40)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(600)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(topk.whole_vectors(frame), F.col("vec_id") % 50 == 0).collect())
     assert got == brute_top(rows, 5)
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    frame = spark.createDataFrame([(0, [2.0**60, 1.0]), (1, [1.0, 2.0**60])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(topk.whole_vectors(frame), F.col("vec_id") % 50 == 0)
+
+
+def test_long_and_repeated_items(spark):
+    """Items longer than a stretch, and very often repeated ones, are found whole."""
+    rng = np.random.default_rng(9)
+    long = [f"w{i}" for i in rng.integers(0, 400, 300)]
+    items = spark.createDataFrame([(1, " ".join(long))] + [(2, "a b c d e f g h i j k")] * 500 + [(3, "few words")], "item_id long, text string")
+    texts = [" ".join(long), " ".join(long[35:60]), "x a b c d e f g h i j y", "few words", " ".join(long[100:109]), " ".join(reversed(long))]
+    docs = spark.createDataFrame(list(enumerate(texts)), EMPTY)
+    expected = brute_hits(texts, [(1, " ".join(long)), (2, "a b c d e f g h i j k"), (3, "few words")], 10)
+    for stretch in (12, 50, 1000):
+        got = decontaminate.find_hits(docs, items, block_bytes=700, stretch=stretch).orderBy("doc_id").collect()
+        assert [(r["n_words"], sum(h["last"] - h["first"] + 1 for h in r["hits"]), [int(i) for i in r["items"]]) for r in got] == expected
+    assert decontaminate.stretches(items, 10, 1000).count() == 3
+
+
+def test_expected_counts_against_all_paths():
+    rng = np.random.default_rng(6)
+    normal = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = lm.Model(normal(rng.random(3)), normal(rng.random(3)), normal(rng.random((3, 3))), normal(rng.random((3, 5))).T)
+    texts, begins = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 7, 6)], [True, False, True, False]
+    counts = lm.Counts(3, 5)
+    counts.add(model, [t.tobytes() for t in texts], 4, begins)
+    expected = lm.Counts(3, 5)
+    for text, first in zip(texts, begins, strict=True):
+        for at in range(0, len(text), 4):
+            x, start = text[at : at + 4], model.start if first and at == 0 else model.inside
+            paths = list(itertools.product(range(3), repeat=len(x)))
+            p = np.array([start[q[0]] * np.prod([model.move[a, b] for a, b in itertools.pairwise(q)]) * np.prod([model.emit[s, k] for s, k in zip(x, q, strict=True)]) for q in paths])
+            expected.log += np.log10(p.sum())
+            for q, w in zip(paths, p / p.sum(), strict=True):
+                (expected.start if first and at == 0 else expected.inside)[q[0]] += w
+                for a, b in itertools.pairwise(q):
+                    expected.move[a, b] += w
+                for s, k in zip(x, q, strict=True):
+                    expected.emit[s, k] += w
+    assert np.allclose(counts.start, expected.start) and np.allclose(counts.inside, expected.inside) and np.isclose(counts.log, expected.log)
+    assert np.allclose(counts.move * model.move, expected.move) and np.allclose(counts.emit, expected.emit)
+
+
+def test_starting_pieces_come_from_long_texts_too(spark):
+    s = lm.Settings(piece=4, start_pieces=60)
+    rows = [(i, n, np.arange(n, dtype=np.uint16).tobytes()) for i, n in enumerate([1, 4, 5, 2000])]
+    got = lm.start_sample(spark.createDataFrame(rows, "row_id long, n_tokens long, symbols binary"), s).collect()
+    assert 30 < len(got) < 100 and sum(r["row_id"] == 3 for r in got) > 25
+    for r in got:
+        assert np.frombuffer(r["symbols"], np.uint16).tolist() == list(range(rows[r["row_id"]][1]))[4 * r["at"] : 4 * r["at"] + 4]
+    every = lm.start_sample(spark.createDataFrame(rows[:3], "row_id long, n_tokens long, symbols binary"), s)
+    assert sorted((r["row_id"], r["at"]) for r in every.collect()) == [(0, 0), (1, 0), (2, 0), (2, 1)]
+
+
+def test_long_words_and_repeated_rows_of_the_language_model(spark):
+    texts = {1: "a b " * 3000 + "w" * 500_000, 2: "w" * 500_000, 3: "a", 4: ""}
+    docs = spark.createDataFrame([*texts.items(), (3, "a"), (3, "a")], EMPTY)
+    rows = lm.score_documents(docs, lm.Settings(states=2, rounds=1, start_rounds=2, hot=2)).collect()
+    assert len(rows) == 6 and len({tuple(r) for r in rows if r["doc_id"] == 3}) == 1
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    seen = Counter(w for i in [*texts, 3, 3] if not out(i) for w in tokens(texts[i]))
+    n, v = sum(seen.values()), len(seen)
+    for r in rows:
+        assert math.isclose(r["base_score"], sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in tokens(texts[r["doc_id"]])), rel_tol=1e-9)
