@@ -12,16 +12,16 @@ from querylume.sources.schema import COMMANDS, ENVELOPE, ERROR_LEVELS, LIMITS
 
 #: Microseconds from the Unix epoch to the servers' own, 2000-01-01.
 SERVER_EPOCH_US = 946_684_800_000_000
-#: Statements that are never events: they only wrap others, or bound transactions.
+#: Statements that are never events: they only wrap others, or bound transactions (fixed values).
 SKIPPED_TAGS = ("EXECUTE", "PREPARE", "DEALLOCATE", "BEGIN", "START TRANSACTION", "COMMIT", "ROLLBACK", "SAVEPOINT", "RELEASE", "ROLLBACK TO", "PREPARE TRANSACTION", "COMMIT PREPARED", "ROLLBACK PREPARED")
-#: Utility statements whose row count means something.
+#: Utility statements whose row count means something (fixed values).
 COUNTING_TAGS = ("COPY", "FETCH", "SELECT", "REFRESH MATERIALIZED VIEW")
 
 
 def statement_filter(df: DataFrame, tag: str = "tag", enabled: bool = True) -> DataFrame:
     """Without skipped statements and parallel workers' events; nothing if capture is off."""
     out = df.where(F.lit(enabled) & ~F.upper(F.coalesce(tag, F.lit(""))).isin(*SKIPPED_TAGS))
-    return out.where(~F.col("is_parallel_worker")) if "is_parallel_worker" in df.columns else out
+    return out.where(~F.coalesce("is_parallel_worker", F.lit(False))) if "is_parallel_worker" in df.columns else out
 
 
 def level_filter(df: DataFrame, least: str = "warning") -> DataFrame:
@@ -29,14 +29,14 @@ def level_filter(df: DataFrame, least: str = "warning") -> DataFrame:
     return df.where((F.col("err_elevel") == 0) | (F.col("err_elevel") >= ERROR_LEVELS[least]))
 
 
-def sampled(df: DataFrame, min_duration_us: int = 0, rate: float = 1.0, key: str = "event_id", weighted: bool = False) -> DataFrame:
+def sampled(df: DataFrame, min_duration_us: int = 0, rate: float = 1.0, key: str | list[str] = "event_id", weighted: bool = False) -> DataFrame:
     """Every event of `min_duration_us` or more, and `rate` of the faster ones; messages always stay.
 
     A least duration of 0 keeps everything, whatever the rate.  The draw is a hash of `key`, so a retried
-    task draws the same.  `weighted` adds sample_weight, 1 / rate for drawn events, so that sums stay unbiased.
+    task draws the same; give all columns where no single one tells events apart.  `weighted` adds sample_weight, 1 / rate for drawn events, so that sums stay unbiased.
     """
     sure = (F.col("duration_us") >= min_duration_us) | (F.col("err_elevel") > 0)
-    drawn = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(max(0.0, min(1.0, rate)) * 1_000_000)
+    drawn = F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(1_000_000)) < int(max(0.0, min(1.0, rate)) * 1_000_000)
     out = df.where(sure | drawn)
     return out.withColumn("sample_weight", F.when(sure, F.lit(1.0)).otherwise(F.lit(1 / rate if rate > 0 else 0.0))) if weighted else out
 
@@ -120,6 +120,13 @@ def attributes(text: str, strip: bool = False) -> dict[str, str]:
     return out
 
 
+def filled(df: DataFrame, known: dict[str, str]) -> DataFrame:
+    """enrich() for rows that may already have an envelope: only what is absent, null or empty is filled."""
+    values = {"read_replica_type": "none", "service_version": querylume.__version__} | {k: v for k, v in known.items() if v}
+    own = {c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string") for c in ENVELOPE}
+    return df.withColumns({c: F.coalesce(own[c], F.lit(values.get(c, ""))) for c in ENVELOPE})
+
+
 def enrich(df: DataFrame, known: dict[str, str] | None = None, **more: str) -> DataFrame:
     """The nine envelope columns, the same for every row of a batch."""
     values = {"read_replica_type": "none", "service_version": querylume.__version__} | (known or {}) | more
@@ -137,6 +144,7 @@ def utility_rows(tag: Column, rows: Column) -> Column:
 
 
 def deltas(df: DataFrame, columns: list[str], keys: list[str], order: list[str]) -> DataFrame:
-    """Cumulative counters as the difference from the row before, 0 for the first and after a reset."""
+    """Cumulative counters as the difference from the row before: 0 for the first row, the counter itself after a reset."""
     before = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({c: F.greatest(F.col(c) - F.coalesce(F.lag(c).over(before), F.col(c)), F.lit(0).cast(df.schema[c].dataType)) for c in columns})
+    last = {c: F.coalesce(F.lag(c).over(before), F.col(c)) for c in columns}
+    return df.withColumns({c: F.when(F.col(c) >= last[c], F.col(c) - last[c]).otherwise(F.col(c)) for c in columns})

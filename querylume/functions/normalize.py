@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def comment(depth: int) -> str:
+    """A comment that holds others, as deep as this."""
+    inner = f"|{comment(depth - 1)}" if depth else ""
+    return rf"/\*[^*/]*+(?:(?:\*(?!/)|/(?!\*){inner})[^*/]*+)*+\*/"
+
+
 #: Text that is no literal though it may look like one: comments, quoted names, names, parameters.
-KEPT = r"--[^\n]*|/\*(?s:.*?)\*/|\"(?:[^\"]|\"\")*\"|(?i)(?<![\w$])(?![ebxn]'|u&')[a-z_\u0080-￿][\w$\u0080-￿]*|\$\d+"
-#: Literals.
-STRING = r"(?i:[ebxn]|u&)?'(?:[^']|'')*'|\$([a-zA-Z_]*)\$(?s:.*?)\$\1\$"
-NUMBER = r"(?:(?<=[(,=<>+*/%|\[]|[(,=<>+*/%|\[]\s|^)-\s?)?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+KEPT = rf"--[^\n]*|{comment(6)}|\"[^\"]*+(?:\"\"[^\"]*+)*+\"|(?i)(?<![\w$])(?![ebxn]'|u&')[a-z_\u0080-\uffff][\w$\u0080-\uffff]*|\$\d+"
+#: Literals.  What is cut off within a quoted one is a literal to the end, so that none of it shows.
+STRING = r"(?i:e)'[^'\\]*+(?:(?:\\(?s:.)|'')[^'\\]*+)*+(?:'|\z)|(?i:[bxn]|u&)?'[^']*+(?:''[^']*+)*+(?:'|\z)|\$((?:[a-zA-Z_\u0080-\uffff][\w\u0080-\uffff]*)?)\$(?s:.*?)(?:\$\1\$|\z)"
+DIGITS = r"\d+(?:_\d+)*"
+NUMBER = rf"(?:(?<=[(,=<>+*/%|\[]|[(,=<>+*/%|\[]\s|^)-\s?)?(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?)"
 LIST = r"(?i)\bIN\s*\(\s*(\$\d+)(?:\s*,\s*\$\d+)+\s*\)"
 #: Mark that stands for a literal between the two steps.
 MARK = "\u0001"
@@ -23,7 +30,7 @@ MARK = "\u0001"
 def normalize(text: Column, squash: bool = False) -> Column:
     """`text` with each literal as $N; `squash` writes a list of constants in IN as its first and a comment."""
     pieces = F.regexp_extract_all(text, F.lit(f"{KEPT}|{STRING}|{NUMBER}|(?s:.)"), F.lit(0))
-    marked = F.transform(pieces, lambda p: F.when(p.rlike(r"(?s)^((?i:[ebxn]|u&)?'.*'|\$[a-zA-Z_]*\$.*\$|-?\s?\.?\d.*)$") & ~p.rlike(r"^\$\d+$"), F.lit(MARK)).otherwise(p))
+    marked = F.transform(pieces, lambda p: F.when(p.rlike(r"(?s)^((?i:[ebxn]|u&)?'.*|\$[^$\d][^$]*\$.*|\$\$.*|-?\s?\.?\d.*)$") & ~p.rlike(r"^\$\d+$"), F.lit(MARK)).otherwise(p))
     parts = F.split(F.array_join(marked, ""), MARK, -1)
     highest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\$(\d+)"), F.lit(1)), lambda d: d.try_cast("int"))), F.lit(0))
     numbered = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("$"), (highest + i).cast("string"), p))), "")

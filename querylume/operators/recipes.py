@@ -331,9 +331,15 @@ def latest_duration(events: DataFrame, pattern: str) -> DataFrame:
 
 
 def texts_of_backend(events: DataFrame, pid: int, unlike: str) -> DataFrame:
-    """The texts, sorted, as one array.  A backend's texts are few; for more, use the filter alone."""
+    """The texts, sorted, as one array; made of the distinct texts and their counts, so repeated ones do not gather."""
+    found = F.sort_array(F.collect_list(F.struct("query_text", "n")))
+    return text_counts(events, pid, unlike).agg(F.flatten(F.transform(found, lambda x: F.array_repeat(x["query_text"], x["n"].cast("int")))).alias("texts"))
+
+
+def text_counts(events: DataFrame, pid: int, unlike: str) -> DataFrame:
+    """R35 as rows: each text of a backend and how often it ran; the form for backends with very many texts."""
     rows = events.where((F.col("pid") == pid) & ~F.col("query_text").like(unlike) & (F.col("query_text") != ""))
-    return rows.agg(F.sort_array(F.collect_list("query_text")).alias("texts"))
+    return rows.groupBy("query_text").agg(F.count("*").alias("n"))
 
 
 def envelope(events: DataFrame, n: int = 1) -> DataFrame:

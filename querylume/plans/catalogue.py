@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 import querylume
 from querylume.functions import ingest, normalize
 from querylume.operators import recipes as r
-from querylume.operators.rollups import app_user_stats, errors_recent, events_recent, query_stats
+from querylume.operators.rollups import Rollup, app_user_stats, errors_recent, events_recent, query_stats
 from querylume.plans.router import routed_workload
+from querylume.sources import arrow_ipc, otlp, tables
 from querylume.sources.adapter import FROM_EVENTS, telemetry
+from querylume.sources.schema import conform
+from querylume.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 NOW = datetime(2024, 1, 31)
 WEEK, MONTH = timedelta(days=7), timedelta(days=31)
-#: Largest sketch: no group of the checked tables outgrows it, so its quantiles are exact there.
-CHECKED_K = 65535
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -41,11 +42,56 @@ def since(days: float, op: str = ">", column: str = "ts") -> str:
 
 
 def five(events: DataFrame) -> DataFrame:
-    return query_stats(CHECKED_K).build(events)
+    return query_stats().build(events)
 
 
 def one(events: DataFrame) -> DataFrame:
-    return app_user_stats(CHECKED_K).build(events)
+    return app_user_stats().build(events)
+
+
+#: What a session has stored of a folder's events, by application, folder and kind: paths below the scratch folder.
+STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[DataFrame, str], None]) -> str:
+    """Where write() has put the folder's events; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in STORED:
+        path = tables.scratch(spark, kind)
+        write(telemetry(spark, sf_dir), path)
+        STORED[key] = path
+    return STORED[key]
+
+
+def read_stored(spark: SparkSession, sf_dir: str, rollup: Rollup) -> DataFrame:
+    return tables.read_states(spark, stored(spark, sf_dir, rollup.name, lambda t, path: tables.append_states(rollup.build(t), path)))
+
+
+def add_over_states(name: str, rollup: Rollup, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query over a stored table of states, as deployments read them.
+
+    Sketches hold k values exactly; quantiles of a group with more rows are within a rank error of theirs.
+    """
+    add(name, lambda t: t, sql)
+    QUERIES[name] = lambda spark, sf_dir: query(read_stored(spark, sf_dir, rollup))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> streaming.TableSink:
+    """The tables that streaming ingest makes of the folder's events, from two files in a batch each."""
+
+    def write(events: DataFrame, path: str) -> None:
+        conform(events).repartition(2).write.parquet(f"{path}/in")
+        counters = streaming.Counters()
+        source = streaming.file_source(spark, f"{path}/in", 1)
+        streaming.start(source, streaming.TableSink(f"{path}/out"), f"{path}/checkpoint", counters=counters, drain=True).awaitTermination()
+        counters.stats(spark).write.parquet(f"{path}/stats")
+
+    return streaming.TableSink(stored(spark, sf_dir, "ingested", write) + "/out")
+
+
+def add_over_ingested(name: str, query: Callable[[SparkSession, streaming.TableSink], DataFrame], sql: str) -> None:
+    add(name, lambda t: t, sql)
+    QUERIES[name] = lambda spark, sf_dir: query(spark, ingested(spark, sf_dir))
 
 
 FIVE, MINUTE = "time_bucket(INTERVAL '5 minutes', ts)", "date_trunc('minute', ts)"
@@ -71,16 +117,23 @@ add(
     f"SELECT ts, db_name, db_operation, rows, duration_us / 1000 AS ms, substr(query_text, 1, 100) AS query_preview FROM t WHERE {since(1)} ORDER BY ts DESC, event_id LIMIT 50",
 )
 R03 = f"SELECT query_id, db_operation, {N} AS calls, {MS} AS avg_ms, round({q(0.95)} / 1000, 2) AS p95_ms, round({q(0.99)} / 1000, 2) AS p99_ms FROM t WHERE {since(7, '>=')} GROUP BY query_id, db_operation ORDER BY p99_ms DESC, query_id, db_operation LIMIT 10"
-add("r03_top_by_p99", lambda t: r.top_by_p99(five(t), NOW, WEEK, rollup=query_stats(CHECKED_K)), R03)
+add_over_states(
+    "r03_top_by_p99",
+    query_stats(),
+    lambda t: r.top_by_p99(t, NOW, WEEK, rollup=query_stats()),
+    R03,
+)
 add("r03_top_by_p99_raw", lambda t: r.top_by_p99_raw(t, NOW, WEEK, exact=True), R03)
-add(
+add_over_states(
     "r04_load_by_app",
-    lambda t: r.load_by_app(one(t), NOW, WEEK, rollup=app_user_stats(CHECKED_K)),
+    app_user_stats(),
+    lambda t: r.load_by_app(t, NOW, WEEK, rollup=app_user_stats()),
     f"SELECT app, {N} AS total_queries, round({big('duration_us')} / 1000000, 2) AS total_seconds, round({q(0.99)} / 1000, 2) AS p99_ms, {big('CASE WHEN err_elevel > 0 THEN 1 ELSE 0 END')} AS errors FROM t WHERE {since(7, '>=')} GROUP BY app",
 )
-add(
+add_over_states(
     "r05_error_rate_by_user",
-    lambda t: r.error_rate_by_user(one(t), NOW, WEEK),
+    app_user_stats(),
+    lambda t: r.error_rate_by_user(t, NOW, WEEK),
     f"SELECT db_name, db_user, {N} AS queries, {big('CASE WHEN err_elevel > 0 THEN 1 ELSE 0 END')} AS errors, round(100 * {big('CASE WHEN err_elevel > 0 THEN 1 ELSE 0 END')} / count(*), 2) AS error_pct FROM t WHERE {since(7, '>=')} GROUP BY db_name, db_user HAVING sum(CASE WHEN err_elevel > 0 THEN 1 ELSE 0 END) > 0",
 )
 add(
@@ -132,8 +185,8 @@ add(
     lambda t: r.errors_of_query(errors_recent(t), 0),
     "SELECT ts, err_sqlstate, err_elevel, err_message, substr(query_text, 1, 200) AS query_preview FROM t WHERE err_elevel > 0 AND query_id = 0 ORDER BY ts DESC, event_id LIMIT 20",
 )
-add("r16_qps", lambda t: r.qps(five(t), NOW, MONTH), f"SELECT {FIVE} AS bucket, {N} / 300 AS qps FROM t WHERE {since(31, '>=')} GROUP BY 1")
-add("r17_hit_ratio_rollup", lambda t: r.hit_ratio_rollup(five(t), NOW, MONTH), f"SELECT {FIVE} AS bucket, round(100 * {HITS} / ({HITS} + {READS} + 1), 2) AS hit_ratio_pct FROM t WHERE {since(31, '>=')} GROUP BY 1")
+add_over_states("r16_qps", query_stats(), lambda t: r.qps(t, NOW, MONTH), f"SELECT {FIVE} AS bucket, {N} / 300 AS qps FROM t WHERE {since(31, '>=')} GROUP BY 1")
+add_over_states("r17_hit_ratio_rollup", query_stats(), lambda t: r.hit_ratio_rollup(t, NOW, MONTH), f"SELECT {FIVE} AS bucket, round(100 * {HITS} / ({HITS} + {READS} + 1), 2) AS hit_ratio_pct FROM t WHERE {since(31, '>=')} GROUP BY 1")
 add(
     "r18_workload_breakdown",
     lambda t: r.workload_breakdown(t, NOW, MONTH),
@@ -235,17 +288,72 @@ add(
 )
 add(
     "rollup_compacted",
-    lambda t: query_stats(CHECKED_K).compact(five(t.where("event_id % 2 = 0")).unionByName(five(t.where("event_id % 2 = 1")))).select("bucket", "instance_ubid", "db_name", "query_id", "db_operation", "calls_state", "duration_max_state"),
+    lambda t: query_stats().compact(five(t.where("event_id % 2 = 0")).unionByName(five(t.where("event_id % 2 = 1")))).select("bucket", "instance_ubid", "db_name", "query_id", "db_operation", "calls_state", "duration_max_state"),
     f"SELECT {FIVE} AS bucket, instance_ubid, db_name, query_id, db_operation, {N} AS calls_state, max(duration_us) AS duration_max_state FROM t GROUP BY ALL",
 )
-add("routed_workload", lambda t: routed_workload(t, five(t), NOW, MONTH, query_stats(CHECKED_K)), f"SELECT db_operation, {N} AS calls, {big('duration_us')} AS duration_us FROM t WHERE {since(31, '>=')} GROUP BY db_operation")
+add("routed_workload", lambda t: t, f"SELECT db_operation, {N} AS calls, {big('duration_us')} AS duration_us FROM t WHERE {since(31, '>=')} GROUP BY db_operation")
+
+QUERIES["routed_workload"] = lambda spark, sf_dir: routed_workload(telemetry(spark, sf_dir), read_stored(spark, sf_dir, query_stats()), NOW, MONTH, query_stats())
+
+# -- sources, sinks and streaming ingest -----------------------------------------------------------------------
+
+MASKED = "regexp_replace(query_text, '[0-9]+', '$' || '1')"
+BY_INSTANCE = f"SELECT instance_ubid, {N} AS n, {big('wal_bytes')} AS wal_bytes, max(duration_us) AS longest, count(DISTINCT query_id) AS query_ids FROM t GROUP BY instance_ubid"
+
+
+def by_instance(events: DataFrame) -> DataFrame:
+    return events.groupBy("instance_ubid").agg(F.count("*").alias("n"), F.sum("wal_bytes").alias("wal_bytes"), F.max("duration_us").alias("longest"), F.countDistinct("query_id").alias("query_ids"))
+
+
+def record_totals(spark: SparkSession, events: DataFrame) -> DataFrame:
+    shape = "array<struct<time_unix_nano: long, string_attributes: map<string, string>, int_attributes: map<string, long>>>"
+    rows = otlp.requests(events, 1000, 1 << 20).select(F.explode(F.from_json("value", shape)).alias("x"))
+    return rows.groupBy(F.col("x.string_attributes")["db.operation.name"].alias("db_operation")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("x.int_attributes")["duration_us"]), F.lit(0)).alias("duration_us"), F.min("x.time_unix_nano").alias("first_ns"))
+
+
+add_over_ingested(
+    "s01_ingested_events",
+    lambda spark, sink: sink.events(spark).groupBy("db_operation").agg(F.count("*").alias("n"), F.sum("duration_us").alias("duration_us"), F.countDistinct("query_text").alias("texts")),
+    f"SELECT db_operation, {N} AS n, {big('duration_us')} AS duration_us, CAST(count(DISTINCT {MASKED}) AS BIGINT) AS texts FROM t GROUP BY db_operation",
+)
+add_over_ingested("s03_ingested_messages", lambda spark, sink: sink.errors(spark, NOW).select("ts", "pid", "err_sqlstate", "err_message"), f"SELECT ts, pid, err_sqlstate, err_message FROM t WHERE err_elevel > 0 AND {since(7)}")
+add("s05_log_requests", lambda t: record_totals(t.sparkSession, conform(t)), f"SELECT db_operation, {N} AS n, {big('duration_us')} AS duration_us, min(epoch_us(ts)) * 1000 AS first_ns FROM t GROUP BY db_operation")
+add("s06_arrow_of_56_columns", lambda t: by_instance(arrow_ipc.scan(t.sparkSession, arrow_ipc.blocks(t, "arrow_ipc", 65536))), BY_INSTANCE)
+add("s07_arrow_of_52_columns", lambda t: by_instance(arrow_ipc.scan(t.sparkSession, arrow_ipc.blocks(t, max_block_bytes=65536))), BY_INSTANCE)
+add_over_ingested("s10_stored_events", lambda spark, sink: sink.events(spark).select("ts", F.col("event_date").cast("string").alias("event_date"), "pid", "query_id", "duration_us", "query_text"), f"SELECT ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, pid, query_id, duration_us, {MASKED} AS query_text FROM t")
+add_over_ingested(
+    "s11_stored_states",
+    lambda spark, sink: query_stats().merge(sink.states(spark, "query_stats_5m"), ("db_operation",), ("calls_state", "duration_sum_state", "duration_max_state")),
+    f"SELECT db_operation, {N} AS calls_state, {big('duration_us')} AS duration_sum_state, max(duration_us) AS duration_max_state FROM t GROUP BY db_operation",
+)
+add_over_ingested("s11_stored_texts", lambda spark, sink: sink.texts(spark), f"SELECT query_id, min({MASKED}) AS query_text FROM t WHERE query_text <> '' GROUP BY query_id")
+add_over_ingested(
+    "stats_of_ingest",
+    lambda spark, sink: spark.read.parquet(sink.path.removesuffix("/out") + "/stats").select("enqueued_events", "exported_events", "dropped_events", "send_failures", "dsa_oom_count"),
+    f"SELECT {N} AS enqueued_events, {N} AS exported_events, CAST(0 AS BIGINT) AS dropped_events, CAST(0 AS BIGINT) AS send_failures, CAST(0 AS BIGINT) AS dsa_oom_count FROM t",
+)
 
 # -- ingest transforms ---------------------------------------------------------------------------------------
 
 add("i01_statement_filter", lambda t: ingest.statement_filter(t.withColumn("tag", F.expr("CASE event_id % 4 WHEN 0 THEN 'BEGIN' WHEN 1 THEN 'prepare' WHEN 2 THEN 'CREATE TABLE' ELSE '' END"))).select("event_id", "tag"), "SELECT event_id, CASE event_id % 4 WHEN 2 THEN 'CREATE TABLE' ELSE '' END AS tag FROM t WHERE event_id % 4 IN (2, 3)")
 add("i02_level_filter", lambda t: ingest.level_filter(t, "error").select("event_id", "err_elevel"), "SELECT event_id, err_elevel FROM t WHERE err_elevel = 0 OR err_elevel >= 21")
 add("i03_threshold", lambda t: ingest.sampled(t, 100_000, 0.0).select("event_id"), "SELECT event_id FROM t WHERE duration_us >= 100000 OR err_elevel > 0")
-add("i04_normalized_texts", lambda t: normalize.normalized(t.select("event_id", "query_text")), "SELECT event_id, regexp_replace(query_text, '[0-9]+', '$1') AS query_text FROM t".replace("'$1'", "'$' || '1'"))
+#: Statements of many forms, with an event's number in their literals, and what is left of them.
+STATEMENTS = (
+    ("'SELECT * FROM t WHERE k = ' || n || ' AND s = ''it''''s '' || ' || n", "'SELECT * FROM t WHERE k = $' || '1 AND s = $' || '2 || $' || '3'"),
+    ("'SELECT E''a' || chr(92) || '''secret' || n || ''', x FROM t1 /* ' || n || ' /* 9 */ 8 */ WHERE a = -' || n", "'SELECT $' || '1, x FROM t1 /* ' || n || ' /* 9 */ 8 */ WHERE a = $' || '2'"),
+    ("'UPDATE t SET a = 0x1F, b = 1_000, c = .5e-3, d = $' || 'q$ ' || n || ' $' || 'q$ -- ' || n", "'UPDATE t SET a = $' || '1, b = $' || '2, c = $' || '3, d = $' || '4 -- ' || n"),
+    ("'DELETE FROM \"t 5\" WHERE a1 = $' || '2 AND b IN (' || n || ', 0b101, 0o17) AND c = ''cut ' || n", "'DELETE FROM \"t 5\" WHERE a1 = $' || '2 AND b IN ($' || '3, $' || '4, $' || '5) AND c = $' || '6'"),
+)
+
+
+def statement_of(event: str, side: int) -> str:
+    n = f"CAST({event} AS VARCHAR(20))"
+    cases = " ".join(f"WHEN {i} THEN {x[side].replace('|| n', f'|| {n}')}" for i, x in enumerate(STATEMENTS))
+    return f"CASE {event} % {len(STATEMENTS)} {cases} END"
+
+
+add("i04_normalized_texts", lambda t: normalize.normalized(t.select("event_id", F.expr(statement_of("event_id", 0)).alias("query_text"))), f"SELECT event_id, {statement_of('event_id', 1)} AS query_text FROM t")
 add("i05_trimmed", lambda t: t.select("event_id", ingest.trimmed(F.concat(F.lit(" \n\t"), "query_text", F.lit(" ; "))).alias("query_text")), "SELECT event_id, CASE WHEN query_text = '' THEN ';' ELSE query_text || ' ;' END AS query_text FROM t")
 add(
     "i06_text_lookup",
@@ -279,6 +387,6 @@ add(
 )
 add(
     "i17_counter_deltas",
-    lambda t: ingest.deltas(t.selectExpr("event_id", "pid", "ts", "event_id * 10 AS wal_bytes"), ["wal_bytes"], ["pid"], ["ts", "event_id"]).select("event_id", "wal_bytes"),
-    "SELECT event_id, greatest(event_id * 10 - coalesce(lag(event_id * 10) OVER (PARTITION BY pid ORDER BY ts, event_id), event_id * 10), 0) AS wal_bytes FROM t",
+    lambda t: ingest.deltas(t.selectExpr("event_id", "pid", "ts", "event_id * 10 % 70000 AS wal_bytes"), ["wal_bytes"], ["pid"], ["ts", "event_id"]).select("event_id", "wal_bytes"),
+    "SELECT event_id, CASE WHEN v >= b THEN v - b ELSE v END AS wal_bytes FROM (SELECT event_id, event_id * 10 % 70000 AS v, coalesce(lag(event_id * 10 % 70000) OVER (PARTITION BY pid ORDER BY ts, event_id), event_id * 10 % 70000) AS b FROM t)",
 )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylume.sources.schema import COLUMNS, ENVELOPE
@@ -33,18 +36,31 @@ def records(events: DataFrame) -> DataFrame:
     return out.withColumn("bytes", F.lit(RECORD_BYTES + len(SECONDS) + ATTRIBUTE_BYTES) + names + values)
 
 
-def chunks(events: DataFrame, batch_size: int = 8192, max_bytes: int = 3 << 20) -> DataFrame:
-    """records() with `part` and `chunk`: within a task's part, running sums cut chunks of either bound.
+def as_json(events: DataFrame) -> DataFrame:
+    """One JSON text a record, and its estimated bytes."""
+    return records(events).select(F.to_json(F.struct("time_unix_nano", "string_attributes", "int_attributes", "double_attributes")).alias("value"), "bytes")
+
+
+def requests(events: DataFrame, batch_size: int = 8192, max_bytes: int = 3 << 20) -> DataFrame:
+    """records, bytes and value: JSON arrays of records, of at most `batch_size` records and `max_bytes` estimated bytes.
 
-    A chunk's size is bounded by max_bytes plus its last record.
+    A record over `max_bytes` is alone.  Each task cuts its own rows, so nothing is shuffled.
     """
-    rows = records(events).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    before = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    count, size = F.coalesce(F.count("*").over(before), F.lit(0)), F.coalesce(F.sum("bytes").over(before), F.lit(0))
-    by_count, by_size = F.floor(count / batch_size), F.floor(size / max_bytes)
-    return rows.withColumn("chunk", by_count + by_size).drop("at")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def as_json(events: DataFrame) -> DataFrame:
-    """One JSON text a record."""
-    return records(events).select(F.to_json(F.struct("time_unix_nano", "string_attributes", "int_attributes", "double_attributes")).alias("value"))
+        def request() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"records": [len(held)], "bytes": [size], "value": ["[" + ",".join(held) + "]"]})
+
+        for batch in batches:
+            for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (len(held) >= batch_size or size + n > max_bytes):
+                    yield request()
+                    held, size = [], 0
+                held.append(value)
+                size += n
+        if held:
+            yield request()
+
+    return as_json(events).mapInArrow(run, "records long, bytes long, value string")
