@@ -22,27 +22,37 @@ def edited(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts score what the bias says; repeated rows and null ids are rows like others.  Without labels of both
+    kinds every text has the share of label 1 as its score.
+    """
     return quality.keep_good(documents(docs), table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: the smallest id (null last), then the smallest hash of the text.
+
+    Null and empty texts are one class; of equal ids and texts one row stays.
+    """
     return near_dup.keep_one(documents(docs))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items are cut out; documents that are mostly such passages go."""
+    """Passages of benchmark items are cut out; documents that are mostly such passages go.
+
+    Null and empty texts stay as they are; without items nothing changes.
+    """
     return edited(docs, decontaminate.decontaminate(documents(docs), table(spark, sf_dir, "benchmark")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts become a mask."""
+    """Secrets in texts become a mask.  Null texts stay null; no row goes."""
     return edited(docs, secrets.redact(documents(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in packed sequences."""
+    """Pieces of the documents in packed sequences.  A null or empty text is its end id alone; an empty table gives no rows."""
     return packing.pack_documents(documents(docs), word_bpe_path())
 
 
