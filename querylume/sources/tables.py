@@ -51,14 +51,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def append_events(events: DataFrame, path: str, mode: str = "append", most_rows: int = 0) -> None:
-    """Rows sorted by (instance_ubid, ts) within each file, in a folder for each day; `most_rows` bounds a file's rows."""
-    dated = events.withColumn("event_date", F.to_date("ts"))
+    """Rows sorted by (instance_ubid, ts) within each file, in a folder for each day; `most_rows` bounds a file's rows.
+
+    Rows are dealt by day, so that a small batch makes a file a day; Spark splits days that are large.
+    """
+    dated = events.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date")
     sorted_rows = dated.sortWithinPartitions("event_date", "instance_ubid", "ts")
     sorted_rows.write.mode(mode).partitionBy("event_date").options(compression="zstd", maxRecordsPerFile=most_rows).parquet(path)
 
 
 def append_states(states: DataFrame, path: str, mode: str = "append") -> None:
-    dated = states.withColumn("bucket_date", F.to_date("bucket"))
+    dated = states.withColumn("bucket_date", F.to_date("bucket")).hint("rebalance", "bucket_date")
     dated.write.mode(mode).partitionBy("bucket_date").option("compression", "zstd").parquet(path)
 
 
