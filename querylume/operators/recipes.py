@@ -385,3 +385,8 @@ def queue_pressure(stats: DataFrame) -> DataFrame:
     return stats.select("queue_size", "queue_capacity", F.round("queue_usage_pct", 1).alias("usage_pct"))
 
 
+def events_captured(stats: DataFrame, at_least: int) -> DataFrame:
+    """R39, the check that events arrive: whether any counters are above zero, and whether they have reached a number."""
+    one = stats.sparkSession.range(1)
+    any_row = stats.where("enqueued_events > 0").agg(F.count("*")).scalar()
+    return one.select((any_row > 0).alias("events_captured"), (stats.select("enqueued_events").scalar() >= at_least).alias("more_events"))

@@ -270,6 +270,7 @@ add_stats(
 add_stats("r39_in_flight", r.in_flight, "SELECT enqueued_events, exported_events, enqueued_events - exported_events AS in_flight, dropped_events FROM s")
 add_stats("r39_export_errors", r.export_errors, "SELECT CAST(0 AS BIGINT) AS send_failures, CAST(NULL AS VARCHAR) AS last_error_text, CAST(NULL AS TIMESTAMP) AS last_error_ts, last_success_ts FROM s")
 add_stats("r39_queue_pressure", r.queue_pressure, f"SELECT CAST(enqueued_events - exported_events AS INTEGER) AS queue_size, 131072 AS queue_capacity, round({USED}, 1) AS usage_pct FROM s")
+add_stats("r39_events_captured", lambda s: r.events_captured(s, 2000), "SELECT (SELECT count(*) FROM s WHERE enqueued_events > 0) > 0 AS events_captured, (SELECT enqueued_events FROM s) >= 2000 AS more_events")
 
 # -- views and rollups as tables ---------------------------------------------------------------------------
 

@@ -82,7 +82,8 @@ class TableSink:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         table = lambda name: f"{self.path}/{name}"
-        new = lambda name: (tables.compacted_upto(spark, table(name)) or -1) < batch_id
+        done = {name: tables.compacted_upto(spark, table(name)) for name in ("events_raw", "query_texts", *self.rollups)}
+        new = lambda name: done[name] is None or done[name] < batch_id
         if new("events_raw"):
             tables.append_events(batch, f"{table('events_raw')}/batch_id={batch_id}", mode="overwrite", most_rows=self.most_rows)
         if new("query_texts"):

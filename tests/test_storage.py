@@ -108,6 +108,17 @@ def test_retention_of_uncompacted_batches(spark, events, tmp_path):
     assert tables.children(spark, f"{sink.path}/events_raw") == []
 
 
+def test_first_batch_again_after_its_compaction(spark, events, tmp_path):
+    sink = ingest.TableSink(f"file://{tmp_path}/t")
+    sink.write(events.limit(20), 0)
+    for name in ("events_raw", "query_texts", *sink.rollups):
+        sink.compact(spark, name, 0)
+    sink.write(events.limit(20), 0)
+    assert sink.events(spark).count() == 20
+    assert sink.states(spark, "query_stats_5m").agg(F.sum("calls_state")).first()[0] == 20
+    assert tables.children(spark, f"{sink.path}/events_raw") == ["_compacted-0"]
+
+
 @pytest.mark.parametrize("stop", ["before the end of writing", "before the old ones go", "while they go"])
 def test_compaction_that_stops_midway(spark, events, tmp_path, monkeypatch, stop):
     sink = ingest.TableSink(f"file://{tmp_path}/t")
