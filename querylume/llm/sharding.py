@@ -115,6 +115,6 @@ def write_shards(records: DataFrame, path: str, shards: int = 8, seed: int = 202
     sized = named_apart(records, SIZE, *PLACES).withColumn(SIZE, text_size(F.col("text")))
     rows, buckets = scatter(sized, shards, seed, **options)
     out = place(rows, buckets, shards, seed)
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     discard(rows)
     return records.sparkSession.read.schema(out.schema).parquet(path)
