@@ -262,3 +262,14 @@ def test_neighbours_of_one_role_share_a_block(spark):
 def test_plans_hold_no_python(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_texts_with_very_many_spans(spark):
+    """Some thousand spans in one text; the time grows far less than with their square."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{lead}{keys(rng, 24, secrets.ENCODINGS[2][0])}" for _ in range(2000)) for lead in ("token=", "k ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.with_spans(docs).select("doc_id", F.size("base").alias("base"), F.size("runs").alias("runs")).collect()}
+    assert found[0]["base"] == 2000 and found[1]["base"] < 20 and found[1]["runs"] > 1800
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[0] == " ".join(["[SECRET]"] * 2000)
